@@ -12,16 +12,33 @@ from pyspark.sql import functions as F
 from granary.llm import _words
 from granary.llm._store import stage
 
-BUCKETS = 1 << 16
+WORD_BITS, PAIR_BITS = 18, 15
+BUCKETS = (1 << WORD_BITS) + (1 << PAIR_BITS)
 TARGET, POOR, TOXIC = 0, 1, 2
 KINDS = 3
+#: Letters and digits in lower case (and all bytes beyond ASCII), or punctuation alone; the rest becomes space.
+_WORD = bytes(b + 32 if 65 <= b < 91 else b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else 32 for b in range(256))
+_MARK = bytes(32 if b <= 32 or 48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 128 else b for b in range(256))
+_REPEAT = np.uint64(0x1234567890ABCDEF)
+
+
+def _hashes(memo: _words.WordHashes, text: str | None, table: bytes) -> np.ndarray:
+    return memo.array((text or "").encode("utf-8", "surrogatepass").translate(table).split())
 
 
 def _buckets(memo: _words.WordHashes, text: str | None) -> np.ndarray:
-    """Buckets of the words and word pairs of a text."""
-    h = memo.array(_words.words(text))
-    both = np.concatenate([h, _words.shingles(h, 2)]) if len(h) > 1 else h
-    return (both >> np.uint64(48)).astype(np.int64)
+    """Buckets of a text's words, runs of punctuation and word pairs, each once, so that its own repeated words don't stand for its kind.
+
+    A text of which a sixteenth of the words or more repeat the word before has one n-gram that says so.
+    """
+    words, marks = _hashes(memo, text, _WORD), _hashes(memo, text, _MARK)
+    single = [words, marks]
+    if len(words) > 1 and 16 * int((words[1:] == words[:-1]).sum()) >= len(words):
+        single.append(np.array([_REPEAT]))
+    out = np.unique(_words.mix(np.concatenate(single)) >> np.uint64(64 - WORD_BITS))
+    if len(words) > 1:
+        out = np.concatenate([out, np.unique(_words.shingles(words, 2) >> np.uint64(64 - PAIR_BITS)) + np.uint64(1 << WORD_BITS)])
+    return out.astype(np.int64)
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -29,10 +46,10 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     memo, total = _words.WordHashes(), np.zeros((KINDS + 1, BUCKETS), np.int64)
     for pdf in batches:
         for text, kind in zip(pdf["text"].tolist(), pdf["kind"].tolist(), strict=True):
-            own = np.bincount(_buckets(memo, text), minlength=BUCKETS)
-            total[KINDS] += own
+            own = _buckets(memo, text)
+            total[KINDS][own] += 1
             if kind >= 0:
-                total[kind] += own
+                total[kind][own] += 1
     at = np.flatnonzero(total[KINDS])
     yield pd.DataFrame({"bucket": at, **{f"n{k}": total[k][at] for k in range(KINDS + 1)}})
 
@@ -44,18 +61,36 @@ def labelled_kinds(labels: DataFrame, most: int) -> DataFrame:
     return known.select("doc_id", kind.alias("kind")).where("kind is not null").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(most)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 40_000, prior: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(docs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``kinds`` with one document of each least hash of three words in a row, so that copies count once."""
+
+    @F.pandas_udf("long")
+    def least(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        memo = _words.WordHashes()
+        for batch in texts:
+            yield pd.Series([int(_words.shingles(_hashes(memo, t, _WORD), 3).min(initial=2**64 - 1).view(np.int64)) for t in batch], dtype="int64")
+
+    signed = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(kinds), "doc_id")
+    return signed.select("doc_id", "kind", least("text").alias("least")).groupBy("least", "kind").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "kind")
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 40_000, prior: float = 0.2, sure: float = 5.0, strong: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
     """Log-probability of each bucket under each kind's model, and the log of each kind's share.
 
     Counts are taken over all documents. They are the base measure to which the
-    models of the labelled kinds are smoothed: ``prior`` observations a bucket
-    on average. The labelled rows are a sample of at most ``most_labelled``,
+    models of the labelled kinds are smoothed (near copies among the labelled
+    count once): ``prior`` observations a bucket
+    on average. Buckets in which a kind's count is within ``sure`` standard
+    deviations of what the target's would give, or whose log-ratio is under
+    ``strong``, have the target's probability: many small chances, or a topic or
+    language that one kind has more of, don't add up over a long text. The labelled rows are a sample of at most ``most_labelled``,
     which fixes the size of what is broadcast.
     """
     kinds = stage(labelled_kinds(labels, most_labelled), "labelled")
     share = np.ones(KINDS)
     for k, n in kinds.groupBy("kind").count().collect():
         share[k] += n
+    kinds = stage(_distinct(docs, kinds), "distinct")
     source = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(kinds), "doc_id", "left")
     counted = source.select("text", F.coalesce("kind", F.lit(-1)).alias("kind")).mapInPandas(_count, "bucket int, " + ", ".join(f"n{k} long" for k in range(KINDS + 1)))
     rows = counted.groupBy("bucket").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(KINDS + 1)]).collect()  # BUCKETS rows at most
@@ -65,6 +100,13 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 40_000, prior:
     base = (n[KINDS] + 1) / (n[KINDS].sum() + BUCKETS)
     alpha = prior * BUCKETS * base
     model = np.log((n[:KINDS] + alpha) / (n[:KINDS].sum(1, keepdims=True) + alpha.sum()))
+    size = n[:KINDS].sum(1)
+    for k in (POOR, TOXIC):
+        part = size[k] / max(1.0, size[k] + size[TARGET])
+        expected = (n[k] + n[TARGET]) * part
+        plain = np.abs(n[k] - expected) < sure * np.sqrt(expected * (1 - part) + 1)
+        plain |= np.abs(model[k] - model[TARGET]) < strong
+        model[k][plain] = model[TARGET][plain]
     return model, np.log(share / share.sum())
 
 
@@ -112,7 +154,7 @@ def kth_largest(values: DataFrame, k: int, bins: int = 4096) -> float:
     return high
 
 
-def resample(docs: DataFrame, labels: DataFrame, size: int | None = None, most_labelled: int = 40_000, prior: float = 2.0, seed: int = 1) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, size: int | None = None, most_labelled: int = 40_000, prior: float = 0.2, seed: int = 1) -> DataFrame:
     """The documents that importance resampling draws: their columns, log_weight, target_probability and gumbel_key.
 
     The target is labelled text of quality 1 that isn't toxic; the raw text is
@@ -120,7 +162,7 @@ def resample(docs: DataFrame, labels: DataFrame, size: int | None = None, most_l
     toxic. Weights are ratios of hashed n-gram models (see fit, importance).
     ``size`` documents are drawn without replacement: those of the largest
     log_weight plus Gumbel noise that depends on ``seed`` and doc_id alone.
-    ``size`` None draws as many as the models expect to be target text.
+    ``size`` None draws as many as are more probably target text than not.
 
     A null or empty text has a weight of 1, as nothing tells it from the
     target; a null doc_id draws noise like any other. Rows with the same doc_id
@@ -135,6 +177,6 @@ def resample(docs: DataFrame, labels: DataFrame, size: int | None = None, most_l
     scored = importance(clean, model, shares, seed).withColumn("target_probability", sure)
     keys = stage(scored.select("gumbel_key", "target_probability"), "keys")
     if size is None:
-        size = round(keys.agg(F.sum("target_probability")).first()[0] or 0)
+        size = keys.where("target_probability >= 0.5").count()
     least = kth_largest(keys.select("gumbel_key"), size)
     return scored.where(F.col("gumbel_key") >= least)
