@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +28,12 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a few longs, 100 MB or so in memory, up to which a side of a join is broadcast.
+SMALL = 1_000_000
+
+
+def maybe_broadcast(df: DataFrame) -> DataFrame:
+    """``df``, a staged table of ids, marked for broadcast if a count of its rows shows that it is small; beyond, both sides are shuffled."""
+    return F.broadcast(df) if df.count() <= SMALL else df

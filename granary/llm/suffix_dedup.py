@@ -73,13 +73,15 @@ def _compared(rows: DataFrame, keep: str) -> DataFrame:
     """``rows`` of groups with more than one place, with ``gone`` (it repeats as a whole) and ``next`` (parts of it may repeat).
 
     Rows with equal ``same`` are equal, only rows with equal ``group`` can have
-    equal windows. The first place of each class stands for it in what follows.
+    equal windows. One place of each class, the first where that is to stay, stands
+    for it in what follows.
     """
-    classes = rows.groupBy("group", "same").agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("head"))
+    place = F.struct(*PLACE) if keep == "first" else F.xxhash64(*PLACE)  # any one place will do where none stays
+    classes = rows.groupBy("group", "same").agg(F.count("*").alias("n"), F.min(place).alias("head"))
     groups = classes.groupBy("group").agg(F.count("*").alias("kinds"), F.sum("n").alias("places")).where("places > 1")
     known = classes.join(groups, "group").select("group", "same", "n", "head", "kinds")
     found = rows.join(known.hint("shuffle_hash"), ["group", "same"])
-    leads = F.struct(*PLACE) == F.col("head")
+    leads = place == F.col("head")
     gone = (F.col("n") > 1) & (F.lit(keep == "none") | ~leads)
     return found.withColumn("gone", gone).withColumn("next", leads & (F.col("kinds") > 1)).drop("n", "head", "kinds", "group", "same")
 
