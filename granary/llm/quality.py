@@ -154,6 +154,27 @@ def kth_largest(values: DataFrame, k: int, bins: int = 4096) -> float:
     return high
 
 
+def _drawn(scored: DataFrame, size: int | None) -> tuple[DataFrame, float]:
+    """``scored`` with the least gumbel_key of the ``size`` largest (None: as many as are more probably target text than not)."""
+    if size is None:
+        size = scored.where("target_probability >= 0.5").count()
+    return scored, kth_largest(scored.select("gumbel_key"), size)
+
+
+def weights(docs: DataFrame, labels: DataFrame, most_labelled: int = 40_000, prior: float = 0.2, seed: int = 1) -> DataFrame:
+    """``docs`` with log_weight, target_probability and gumbel_key in place of columns of those names."""
+    model, shares = fit(docs, labels, most_labelled, prior)
+    clean = docs.drop("log_weight", "target_probability", "gumbel_key")
+    sure = F.least(F.lit(1.0), F.exp(F.col("log_weight") + float(shares[TARGET])))
+    return importance(clean, model, shares, seed).withColumn("target_probability", sure)
+
+
+def resampled_ids(docs: DataFrame, labels: DataFrame, size: int | None = None, **options) -> DataFrame:
+    """doc_id, log_weight, target_probability and gumbel_key of what resample draws, each text weighed once."""
+    scored, least = _drawn(stage(weights(docs.select("doc_id", "text"), labels, **options).drop("text"), "weights"), size)
+    return scored.where(F.col("gumbel_key") >= least).select("doc_id", "log_weight", "target_probability", "gumbel_key")
+
+
 def resample(docs: DataFrame, labels: DataFrame, size: int | None = None, most_labelled: int = 40_000, prior: float = 0.2, seed: int = 1) -> DataFrame:
     """The documents that importance resampling draws: their columns, log_weight, target_probability and gumbel_key.
 
@@ -171,12 +192,6 @@ def resample(docs: DataFrame, labels: DataFrame, size: int | None = None, most_l
     Clashing columns of ``docs`` (log_weight, target_probability, gumbel_key)
     are replaced. An empty table gives none.
     """
-    model, shares = fit(docs, labels, most_labelled, prior)
-    clean = docs.drop("log_weight", "target_probability", "gumbel_key")
-    sure = F.least(F.lit(1.0), F.exp(F.col("log_weight") + float(shares[TARGET])))
-    scored = importance(clean, model, shares, seed).withColumn("target_probability", sure)
-    keys = stage(scored.select("gumbel_key", "target_probability"), "keys")
-    if size is None:
-        size = keys.where("target_probability >= 0.5").count()
-    least = kth_largest(keys.select("gumbel_key"), size)
+    scored = weights(docs, labels, most_labelled, prior, seed)
+    _, least = _drawn(stage(scored.select("gumbel_key", "target_probability"), "keys"), size)
     return scored.where(F.col("gumbel_key") >= least)

@@ -24,8 +24,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents drawn, as many as are expected to be target text."""
-    drawn = quality.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
-    return drawn.select("doc_id", "log_weight", "target_probability", "gumbel_key")
+    return quality.resampled_ids(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
