@@ -19,6 +19,7 @@ KINDS = 3
 #: Letters and digits in lower case (and all bytes beyond ASCII), or punctuation alone; the rest becomes space.
 _WORD = bytes(b + 32 if 65 <= b < 91 else b if 48 <= b < 58 or 97 <= b < 123 or b >= 128 else 32 for b in range(256))
 _MARK = bytes(32 if b <= 32 or 48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 128 else b for b in range(256))
+_SEEDS = np.random.default_rng(1).integers(1, 2**63, 4, dtype=np.uint64)
 _REPEAT = np.uint64(0x1234567890ABCDEF)
 
 
@@ -62,32 +63,35 @@ def labelled_kinds(labels: DataFrame, most: int) -> DataFrame:
 
 
 def _distinct(docs: DataFrame, kinds: DataFrame) -> DataFrame:
-    """``kinds`` with one document of each least hash of three words in a row, so that copies count once."""
+    """``kinds`` without documents that share a min-hash over three words in a row with a smaller doc_id of their kind, so that copies count once."""
 
-    @F.pandas_udf("long")
-    def least(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("array<long>")
+    def signed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memo = _words.WordHashes()
         for batch in texts:
-            yield pd.Series([int(_words.shingles(_hashes(memo, t, _WORD), 3).min(initial=2**64 - 1).view(np.int64)) for t in batch], dtype="int64")
+            grams = (_words.shingles(_hashes(memo, t, _WORD), 3) for t in batch)
+            yield pd.Series([[int(_words.mix(g ^ s).min(initial=2**64 - 1).view(np.int64)) for s in _SEEDS] for g in grams])
 
-    signed = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(kinds), "doc_id")
-    return signed.select("doc_id", "kind", least("text").alias("least")).groupBy("least", "kind").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "kind")
+    labelled = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(kinds), "doc_id")
+    each = stage(labelled.select("doc_id", "kind", F.posexplode(signed("text")).alias("at", "least")).distinct(), "signed")
+    first = each.groupBy("kind", "at", "least").agg(F.min("doc_id").alias("doc_id"))
+    return first.groupBy("doc_id", "kind").agg(F.count("*").alias("n")).where(F.col("n") >= len(_SEEDS)).select("doc_id", "kind")
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 40_000, prior: float = 0.2, sure: float = 5.0, strong: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 40_000, prior: float = 1.0, sure: float = 5.0, strong: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
     """Log-probability of each bucket under each kind's model, and the log of each kind's share.
 
     Counts are taken over all documents. They are the base measure to which the
     models of the labelled kinds are smoothed (near copies among the labelled
-    count once): ``prior`` observations a bucket
-    on average. Buckets in which a kind's count is within ``sure`` standard
+    count once): as many observations as the smallest kind has, times ``prior``. Buckets in which a kind's count is within ``sure`` standard
     deviations of what the target's would give, or whose log-ratio is under
     ``strong``, have the target's probability: many small chances, or a topic or
     language that one kind has more of, don't add up over a long text. The labelled rows are a sample of at most ``most_labelled``,
     which fixes the size of what is broadcast.
     """
     kinds = stage(labelled_kinds(labels, most_labelled), "labelled")
-    share = np.ones(KINDS)
+    share = np.zeros(KINDS)
+    share[TARGET] = 1
     for k, n in kinds.groupBy("kind").count().collect():
         share[k] += n
     kinds = stage(_distinct(docs, kinds), "distinct")
@@ -98,7 +102,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 40_000, prior:
     for r in rows:
         n[:, r[0]] = r[1:]
     base = (n[KINDS] + 1) / (n[KINDS].sum() + BUCKETS)
-    alpha = prior * BUCKETS * base
+    seen = n[:KINDS].sum(1)
+    alpha = prior * max(1.0, seen[seen > 0].min(initial=np.inf) if seen.any() else 1.0) * base
     model = np.log((n[:KINDS] + alpha) / (n[:KINDS].sum(1, keepdims=True) + alpha.sum()))
     size = n[:KINDS].sum(1)
     for k in (POOR, TOXIC):
@@ -107,7 +112,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 40_000, prior:
         plain = np.abs(n[k] - expected) < sure * np.sqrt(expected * (1 - part) + 1)
         plain |= np.abs(model[k] - model[TARGET]) < strong
         model[k][plain] = model[TARGET][plain]
-    return model, np.log(share / share.sum())
+    with np.errstate(divide="ignore"):
+        return model, np.log(share / share.sum())  # a kind without labels has no share
 
 
 def importance(docs: DataFrame, model: np.ndarray, shares: np.ndarray, seed: int = 1) -> DataFrame:
@@ -161,7 +167,7 @@ def _drawn(scored: DataFrame, size: int | None) -> tuple[DataFrame, float]:
     return scored, kth_largest(scored.select("gumbel_key"), size)
 
 
-def weights(docs: DataFrame, labels: DataFrame, most_labelled: int = 40_000, prior: float = 0.2, seed: int = 1) -> DataFrame:
+def weights(docs: DataFrame, labels: DataFrame, most_labelled: int = 40_000, prior: float = 1.0, seed: int = 1) -> DataFrame:
     """``docs`` with log_weight, target_probability and gumbel_key in place of columns of those names."""
     model, shares = fit(docs, labels, most_labelled, prior)
     clean = docs.drop("log_weight", "target_probability", "gumbel_key")
@@ -175,7 +181,7 @@ def resampled_ids(docs: DataFrame, labels: DataFrame, size: int | None = None, *
     return scored.where(F.col("gumbel_key") >= least).select("doc_id", "log_weight", "target_probability", "gumbel_key")
 
 
-def resample(docs: DataFrame, labels: DataFrame, size: int | None = None, most_labelled: int = 40_000, prior: float = 0.2, seed: int = 1) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, size: int | None = None, most_labelled: int = 40_000, prior: float = 1.0, seed: int = 1) -> DataFrame:
     """The documents that importance resampling draws: their columns, log_weight, target_probability and gumbel_key.
 
     The target is labelled text of quality 1 that isn't toxic; the raw text is
