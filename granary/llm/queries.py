@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.llm import cap_filters, decontaminate, jaccard_join, line_dedup, packing, passages, quality, secret_scan, suffix_dedup, token_counts
+from granary.llm.oracles import SQL
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -79,5 +80,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: None yet: where an operator adds a model, hashing or packing, SQL can't give its rows; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: Where an operator adds a model, hashing or packing, SQL can't give its rows; tests hold those against brute force.
+ORACLE_SQL: dict[str, str] = SQL
