@@ -416,3 +416,32 @@ def test_nulls_in_any_column(spark, tmp_path, name):
     n = queries.QUERIES[name](spark, d).count()
     whole = {"op2_secret_scan": 6, "op4_best_fit_packing": 6, "op6_suffix_dedup": 6, "op8_token_counts": 6, "op5_ngram_jaccard_join": 4}
     assert n == whole.get(name, n)
+
+
+def word_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_lines_meet_whatever_is_changed(spark):
+    """Every pair at 80 % of the words or more is found, for short lines and long ones, against brute force."""
+    rng = random.Random(12)
+    lines = []
+    for n in (5, 6, 7, 8, 9, 10, 11, 14, 15, 20, 40, 100):
+        for k in range(12):
+            w = [x + str(i) for i, x in enumerate(words(rng, n))] if k % 2 else [rng.choice(["a", "to", "of", "in", "it"]) + str(rng.randint(0, 99)) for _ in range(n)]
+            other = list(w)
+            for e in range(n // 5 + (k % 3 == 2)):  # a third of the copies has an edit too many
+                at = rng.randrange(len(other))
+                kind = rng.random()
+                other[at : at + (kind < 0.7)] = [] if kind < 0.2 else [f"new{e}x"]
+            lines += [w, other]
+    links = [(i, j) for i in range(len(lines)) for j in range(i) if word_edits(lines[i], lines[j]) <= max(len(lines[i]), len(lines[j])) // 5 and min(len(lines[i]), len(lines[j])) >= 5]
+    want = components(len(lines), links)
+    got = {r.doc_id: r.keep_doc_id for r in line_dedup.repeated_lines(make(spark, [" ".join(w) for w in lines])).collect()}
+    assert len(links) > 80
+    assert got == {i: want[i] for i in range(len(lines)) if want[i] != i}
