@@ -445,3 +445,17 @@ def test_lines_meet_whatever_is_changed(spark):
     got = {r.doc_id: r.keep_doc_id for r in line_dedup.repeated_lines(make(spark, [" ".join(w) for w in lines])).collect()}
     assert len(links) > 80
     assert got == {i: want[i] for i in range(len(lines)) if want[i] != i}
+
+
+def test_lines_of_one_template_meet_beyond_the_first(spark):
+    """Lines that share a template are compared with each other and not only with the first of a bucket."""
+    rng = random.Random(13)
+    template = [f"template{i}" for i in range(6)]
+    lines = []
+    for k in range(30):
+        own = [f"own{k}n{i}" for i in range(6)]
+        lines += [template + own, template + own[:5] + [f"last{k}"]]
+    rng.shuffle(lines)
+    want = components(len(lines), [(i, j) for i in range(len(lines)) for j in range(i) if word_edits(lines[i], lines[j]) <= 2])
+    got = {r.doc_id: r.keep_doc_id for r in line_dedup.repeated_lines(make(spark, [" ".join(w) for w in lines])).collect()}
+    assert len(got) == 30 and got == {i: want[i] for i in range(len(lines)) if want[i] != i}
