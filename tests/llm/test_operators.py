@@ -459,3 +459,21 @@ def test_lines_of_one_template_meet_beyond_the_first(spark):
     want = components(len(lines), [(i, j) for i in range(len(lines)) for j in range(i) if word_edits(lines[i], lines[j]) <= 2])
     got = {r.doc_id: r.keep_doc_id for r in line_dedup.repeated_lines(make(spark, [" ".join(w) for w in lines])).collect()}
     assert len(got) == 30 and got == {i: want[i] for i in range(len(lines)) if want[i] != i}
+
+
+def test_passages_beside_longer_ones_and_after_many_leads(spark):
+    """A passage shared with one document counts next to a license shared with another, and a match beyond the first leads is found."""
+    rng = random.Random(14)
+    texts, want = [], []
+    for _ in range(12):  # the short passage lies in the part where the license ends
+        short, long = words(rng, 60), words(rng, 300)
+        texts += [" ".join(long + words(rng, 40)), " ".join(words(rng, 40) + short + words(rng, 40)), " ".join(long + short + words(rng, 40))]
+        want.append((len(texts) - 1, len(texts) - 2, 300, 360))
+    base = words(rng, 54)  # documents that share every window's least shingles but not enough of the others
+    for _ in range(9):
+        texts.append(" ".join(words(rng, 30) + [w if k % 9 else rng.choice(SYLLABLES) + "x" for k, w in enumerate(base)] + words(rng, 30)))
+    texts += [" ".join(words(rng, 30) + base + words(rng, 30)) for _ in range(2)]
+    want.append((len(texts) - 1, len(texts) - 2, 30, 84))
+    rows = passages.near_passages(make(spark, texts)).collect()
+    for doc, other, start, end in want:
+        assert any(r.doc_id == doc and r.match_doc_id == other and r.start_word <= start + 5 and r.end_word >= end - 5 for r in rows), (doc, other)
