@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from granary.llm import cap_filters, decontaminate, jaccard_join, line_dedup, packing, passages, quality, queries, secret_scan, suffix_dedup, token_counts
 
@@ -223,20 +224,38 @@ def test_secrets(spark):
     assert sum(r.n_model for i, r in got.items() if i >= len(SECRETS)) == 0
 
 
-def test_models_tell_random_strings_from_words(spark):
-    """Accuracy on strings that the models weren't trained on."""
+def test_models_tell_random_strings_from_identifiers(spark):
+    """Precision and recall on strings of kinds that no label names: keys, and paths, names, dates and numbers of programs."""
     rng = random.Random(4)
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    strings = lambda n: ["".join(rng.choice(alphabet) for _ in range(24)) for _ in range(n)]
-    names = lambda n: ["_".join(words(rng, 5)) for _ in range(n)]
-    train = spark.createDataFrame([(1, s) for s in strings(300)] + [(0, s) for s in names(300)], "label int, value string")
-    ratios = secret_scan.train(train)
-    held = spark.createDataFrame([(1, s) for s in strings(100)] + [(0, s) for s in names(100)], "label int, value string")
-    from pyspark.sql import functions as F
-
-    right = held.where((secret_scan.score(F.col("value"), ratios) > 0) == (F.col("label") == 1)).count()
-    assert right >= 196
-    assert set(secret_scan.train(train.where("false"))) == {0.0}
+    known = [f"token = {rng.choice(['', '"'])}{''.join(rng.choice(secret_scan.ALPHABET[:62]) for _ in range(32))}" for _ in range(200)]
+    prose = [" ".join(words(rng, 80)) for _ in range(60)] + ["the service keeps a local user session and opens each package of the python library in a site folder " * 3]
+    ratios = secret_scan.train(secret_scan.labelled_samples(make(spark, known + prose)))
+    strings = ["".join(rng.choice(secret_scan.ALPHABET[:n]) for _ in range(rng.choice((24, 32, 44)))) for n in (62, 64) for _ in range(100)]
+    plain = ["/usr/local/lib/python3/site-packages/urllib3/util/connection_timeout", "com_example_service_user_repository_impl", "2024-01-31/2024-12-31", "getUserSessionFromLocalService", "=" * 60, "MAX_CONNECTION_TIMEOUT_SECONDS", "0000000000000000000000000", "internationalization-of-everything", "tests/unit/test_session_store_v2"]
+    plain += ["_".join(words(rng, 5)) for _ in range(60)] + ["/".join(words(rng, 6)) + str(rng.randint(0, 99)) for _ in range(60)] + ["".join(w.capitalize() for w in words(rng, 9)) for _ in range(60)]
+    texts = [f"before {x} after" for x in strings + plain]
+    got = {r.doc_id: r for r in secret_scan.scan(make(spark, texts), ratios).collect()}
+    hit = [got[i].n_model for i in range(len(strings))]
+    assert sum(hit) >= 0.98 * len(strings)
+    wrong = [texts[i] for i in range(len(strings), len(texts)) if got[i].n_model and len(texts[i]) > 33]
+    assert len(wrong) <= 0.02 * len(plain), wrong[:5]
+    assert all(f"model:7:{7 + len(x)}" in got[i].spans.split(",") for i, x in enumerate(strings) if got[i].n_model)
+    assert set(secret_scan.train(make(spark, known).select(F.lit(1).alias("label"), F.lit("x").alias("value")).where("false"))) == {0.0}
+
+
+def test_scores_are_sums_of_ratios(spark):
+    ratios = [((i * 37) % 101 - 50) / 10 for i in range(128 * 128)]
+    texts = ["", "a", "ab", "Zz09+/_=-", "ab" * 30_000]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(secret_scan.score(F.col("t"), ratios)).collect()]
+    want = [sum(ratios[ord(a) * 128 + ord(b)] for a, b in itertools.pairwise(t)) for t in texts]
+    assert np.allclose(got, want)
+
+
+def test_texts_of_very_many_matches(spark):
+    """Thousands of matches and one very long run in a text, in order and at the right places."""
+    text = "é " + " ".join("0123456789abcdef" * 2 for _ in range(3000)) + " " + "Ab3+" * 50_000
+    r = secret_scan.find_secrets(make(spark, [text, None])).where("doc_id = 0").first()
+    assert r.n_hex == 3000 and r.spans.split(",")[:3] == ["hex:2:34", "hex:35:67", "hex:68:100"] and r.spans.split(",")[2999] == f"hex:{2 + 33 * 2999}:{34 + 33 * 2999}"
 
 
 def test_near_vectors(spark):
