@@ -198,6 +198,6 @@ def resample(docs: DataFrame, labels: DataFrame, size: int | None = None, most_l
     Clashing columns of ``docs`` (log_weight, target_probability, gumbel_key)
     are replaced. An empty table gives none.
     """
-    scored = weights(docs, labels, most_labelled, prior, seed)
-    _, least = _drawn(stage(scored.select("gumbel_key", "target_probability"), "keys"), size)
+    # Written once, as a text is costlier to weigh than to write.
+    scored, least = _drawn(stage(weights(docs, labels, most_labelled, prior, seed), "weights"), size)
     return scored.where(F.col("gumbel_key") >= least)
