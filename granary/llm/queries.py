@@ -10,6 +10,8 @@ from granary.llm import cap_filters, decontaminate, jaccard_join, line_dedup, pa
 from granary.llm.oracles import SQL
 
 VOCABULARY = "byte_bpe_50k.json"
+#: Sequences of up to 256 documents; what is left of these and of the attention cost chooses a sequence along with what is left of its tokens.
+PACKING = {"max_docs": 256, "weights": (1.0, 0.25, 0.25)}
 
 
 def vocabulary_path() -> str:
@@ -37,7 +39,7 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_read(spark, sf_dir, "documents"), vocabulary_path())
+    return packing.pack(_read(spark, sf_dir, "documents"), vocabulary_path(), **PACKING)
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
