@@ -5,14 +5,14 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MEMO = 300_000
 SHINGLE = 5
 
 
 def words(text: str | None) -> list[bytes]:
     """The words of ``text``: A-Z lower-cased, parted by the bytes 09-0D and 20; none for null."""
-    return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
+    return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
 
 
 class WordHashes(dict):
