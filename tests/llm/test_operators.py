@@ -419,6 +419,25 @@ def test_passages(docs, corpus):
         assert np.mean(hits) >= 0.8
 
 
+def test_passages_of_hot_windows(spark, monkeypatch):
+    """A line that many documents hold, many times over, and a passage that all share: dealt out in parts, the same rows."""
+    rng = random.Random(21)
+    line, passage = " ".join(words(rng, 6)), " ".join(words(rng, 70))
+    texts = [f"{' '.join(words(rng, 30))} {(line + ' ') * (20 + k % 5)}{passage} {' '.join(words(rng, 30))}" for k in range(60)]
+    docs = make(spark, texts)
+    whole = {tuple(r) for r in passages.near_passages(docs).collect()}
+    assert len({r[0] for r in whole}) == 59
+    first = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
+    windows = "key long, doc long, place long"
+    keys = sorted({r.key for r in first.mapInPandas(passages._windows(46, 5), windows).collect()})
+    monkeypatch.setattr(passages, "_LONG", 0)
+    hot = passages._hot(first, 46, 5)
+    assert 0 < len(hot) <= 1000 and set(hot) <= set(keys) and passages._hot(first.where("false"), 46, 5) == []
+    for some in (hot, keys[::2], keys):
+        monkeypatch.setattr(passages, "_hot", lambda *_, some=some: some)
+        assert {tuple(r) for r in passages.near_passages(docs).collect()} == whole
+
+
 def test_compact_windows_are_the_trees_wide_subtrees():
     from granary.llm.passages import compact_windows
 
