@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
@@ -17,6 +18,9 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p
 END = "<|endoftext|>"
 _RUN = re.compile(r"\s \s")
 _MEMO = 250_000
+_GAP = re.compile(f"[{_SPACE}]+")
+#: White space in a row from which on tiktoken's matcher runs out of stack (it does at a million).
+_GAP_MOST = 100_000
 
 
 def vocabulary(path: str) -> bytes:
@@ -128,6 +132,7 @@ class Encoder:
 
     The merging is tiktoken's, which gives the ids of the tokenizers library
     for the same vocabulary several times as fast; END in a text is its own id.
+    Texts with very long white space go through the tokenizers library itself.
     """
 
     def __init__(self, raw: bytes) -> None:
@@ -136,9 +141,18 @@ class Encoder:
         ends = [t["id"] for t in json.loads(raw)["added_tokens"] if t["content"] == END]
         self.coder = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=token_ranks(raw), special_tokens={})
         self.end = ends[0].to_bytes(4, "little") if ends else None
+        self.raw = raw
+
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.raw.decode("utf-8"))
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if len(text) >= _GAP_MOST and max(map(len, _GAP.findall(text)), default=0) >= _GAP_MOST:
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         parts = text.split(END) if self.end else [text]
         return (self.end or b"").join(np.array(self.coder.encode_ordinary(p), "<u4").tobytes() for p in parts)

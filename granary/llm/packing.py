@@ -27,9 +27,11 @@ def _cut(raw: bytes, tokens: int, end_id: int):
             for doc, text, row in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), pdf["row"].tolist(), strict=True):
                 ids = encoder.ids(text) + end
                 n = len(ids) // 4
-                for k, start in enumerate(range(0, n, tokens)):
-                    part = ids[4 * start : 4 * (start + tokens)]
-                    rows.append((doc, k, start, len(part) // 4, zlib.crc32(part), row))
+                ends = range((n - 1) % tokens + 1, n + 1, tokens)  # the first piece is what is over
+                for k, stop in enumerate(ends):
+                    start = max(0, stop - tokens)
+                    part = ids[4 * start : 4 * stop]
+                    rows.append((doc, k, start, stop - start, zlib.crc32(part), row))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "row"])
             yield out.astype({"doc_id": "Int64"})
 
@@ -78,9 +80,9 @@ def pack(docs: DataFrame, vocabulary: str, tokens: int = 2048, max_docs: int | N
     """Pack all documents into sequences of at most ``tokens`` tokens.
 
     A document is the ids of its text and then ``end_id``. Only documents of
-    more than ``tokens`` tokens are cut, from the front, into pieces of that
-    size and a last one of the rest. Returns for each piece: doc_id, piece,
-    start, length, ids_crc32, sequence_id, offset (of its first token there).
+    more than ``tokens`` tokens are cut, from the end, into pieces of that
+    size, so that the first piece may be shorter. Returns for each piece: doc_id,
+    piece, start, length, ids_crc32, sequence_id, offset (of its first token there).
 
     A sequence has three capacities: tokens, documents (``max_docs``, None: as
     many as tokens) and attention cost, the sum of squared piece lengths

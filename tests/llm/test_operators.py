@@ -151,6 +151,23 @@ def test_encoders_give_the_librarys_ids():
         assert np.frombuffer(encoder.ids(s), "<u4").tolist() == want and counter.count(s) == len(want), s
 
 
+def test_encoder_takes_very_long_white_space():
+    from tokenizers import Tokenizer
+
+    from granary.llm import _bpe
+
+    raw = _bpe.vocabulary(queries.vocabulary_path())
+    text = "a b" + " " * 1_000_000 + "c"
+    assert np.frombuffer(_bpe.Encoder(raw).ids(text), "<u4").tolist() == Tokenizer.from_str(raw.decode()).encode(text, add_special_tokens=False).ids
+
+
+def test_packing_cuts_the_first_piece_short(spark):
+    rows = [(1, "a b c d e f g h i j"), (2, "a b c d e f g"), (3, "a b c"), (4, None)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), queries.vocabulary_path(), tokens=4).collect()
+    pieces = {i: [(r.start, r.length) for r in sorted(got, key=lambda r: r.piece) if r.doc_id == i] for i in (1, 2, 3, 4)}
+    assert pieces == {1: [(0, 3), (3, 4), (7, 4)], 2: [(0, 4), (4, 4)], 3: [(0, 4)], 4: [(0, 1)]}
+
+
 def test_packing(docs, corpus):
     from tokenizers import Tokenizer
 
