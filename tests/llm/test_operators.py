@@ -151,6 +151,20 @@ def test_encoders_give_the_librarys_ids():
         assert np.frombuffer(encoder.ids(s), "<u4").tolist() == want and counter.count(s) == len(want), s
 
 
+def test_long_lines_meet_by_any_word_that_the_bound_leaves(spark):
+    """Lines of 60 words whose 12 rarest all differ have common words alone in common."""
+    common = [f"common{k}x" for k in range(48)]
+    fill = "\n".join(" ".join(common[k : k + 4]) for k in range(0, 48, 4))
+    rows = [(i, f"{fill}\nfill {i}") for i in range(10, 400)]
+    for i in (1, 2):
+        line = list(common)
+        for k in range(12):
+            line.insert(5 * k, f"only{i}of{k}")
+        rows.append((i, " ".join(line)))
+    got = line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.line, r.keep_doc_id, r.keep_line) for r in got] == [(2, 0, 1, 0)]
+
+
 def test_encoder_takes_very_long_white_space():
     from tokenizers import Tokenizer
 
