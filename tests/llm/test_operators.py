@@ -659,3 +659,35 @@ def test_passages_beside_longer_ones_and_after_many_leads(spark):
     rows = passages.near_passages(make(spark, texts)).collect()
     for doc, other, start, end in want:
         assert any(r.doc_id == doc and r.match_doc_id == other and r.start_word <= start + 5 and r.end_word >= end - 5 for r in rows), (doc, other)
+
+
+def test_passages_against_all_runs(spark):
+    """Every run of 50 words that shares 41 of 46 shingles with one of an earlier document lies in a passage, whatever the documents between."""
+    rng = random.Random(31)
+    own = iter(range(10**6))
+    new = lambda n: [f"own{next(own)}" for _ in range(n)]
+    texts = []
+    for _ in range(40):  # runs at the threshold: one word of 50 is another, left out or added
+        base = new(50)
+        other = list(base)
+        at, kind = rng.randrange(5, 45), rng.randrange(3)
+        other[at : at + (kind != 2)] = [] if kind == 1 else new(1)
+        texts += [new(rng.randrange(30)) + base + new(rng.randrange(30)), new(rng.randrange(30)) + other + new(1) + new(rng.randrange(30))]
+    for n in (50, 56):  # a first that is like none, many that are unlike each other, and one that all are like
+        base = new(n)
+        change = lambda *at: [w if k not in at else f"own{next(own)}" for k, w in enumerate(base)]  # noqa: B023, E731
+        texts += [new(9) + change(12, 36) + new(9)] + [new(9) + change(at) + new(9) for at in range(6, 24)]
+        texts += [new(9) + base + new(9)] + [new(9) + change(at) + new(9) for at in range(24, 44)]
+    grams = [[hash(tuple(t[k : k + 5])) for k in range(len(t) - 4)] for t in texts]
+    want = set()
+    for i, a in enumerate(grams):
+        for b in grams[:i]:
+            if len(a) >= 46 and len(b) >= 46 and len(set(a) & set(b)) >= 41:
+                same = np.pad(np.array(a)[:, None] == np.array(b), ((1, 0), (1, 0))).cumsum(0).cumsum(1)
+                shared = same[46:, 46:] - same[:-46, 46:] - same[46:, :-46] + same[:-46, :-46]
+                want |= {(i, int(k)) for k in np.flatnonzero((shared >= 41).any(axis=1))}
+    spans = {}
+    for r in passages.near_passages(make(spark, [" ".join(t) for t in texts])).collect():
+        spans.setdefault(r.doc_id, []).append((r.start_word, r.end_word - 4))
+    missed = [(i, k) for i, k in want if not any(min(k + 46, b) - max(k, a) >= 41 for a, b in spans.get(i, []))]
+    assert len(want) > 100 and not missed
