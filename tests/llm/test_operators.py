@@ -691,3 +691,20 @@ def test_passages_against_all_runs(spark):
         spans.setdefault(r.doc_id, []).append((r.start_word, r.end_word - 4))
     missed = [(i, k) for i, k in want if not any(min(k + 46, b) - max(k, a) >= 41 for a, b in spans.get(i, []))]
     assert len(want) > 100 and not missed
+
+
+def test_long_lines_of_repeated_words_meet(spark):
+    """Long lines are asked for several blocks in common, those of few different words for as many as they must share."""
+    rng = random.Random(17)
+    lines = []
+    for n, kinds in ((40, 3), (60, 9), (60, 60), (100, 22), (100, 27), (140, 140)):
+        w = [f"kind{n}k{kinds}x{k % kinds}" for k in range(n)]
+        other = list(w)
+        for k, at in enumerate(rng.sample(range(n), n // 5)):
+            other[at] = f"new{n}k{kinds}x{k}"
+        lines += [w, other]
+    got = {r.doc_id: r.keep_doc_id for r in line_dedup.repeated_lines(make(spark, [" ".join(w) for w in lines])).collect()}
+    assert got == {i: i - 1 for i in range(1, len(lines), 2)}
+    # Pairs of long lines that share a rare word alone are not brought together for their texts.
+    row = line_dedup._lines(make(spark, [" ".join(f"w{k}" for k in range(100))]), 5, line_dedup._levels(make(spark, ["a"])), 0.2).first()
+    assert row.asked == 6 and len(row.blocks) == 26
