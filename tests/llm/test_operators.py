@@ -708,3 +708,30 @@ def test_long_lines_of_repeated_words_meet(spark):
     # Pairs of long lines that share a rare word alone are not brought together for their texts.
     row = line_dedup._lines(make(spark, [" ".join(f"w{k}" for k in range(100))]), 5, line_dedup._levels(make(spark, ["a"])), 0.2).first()
     assert row.asked == 6 and len(row.blocks) == 26
+
+
+def test_sketches_of_long_lines_tell_them_apart(spark):
+    """Unlike lines of many words don't pass as alike by their sketches, lines with a fifth of the words changed do, and so across widths."""
+    rng = random.Random(19)
+    texts = []
+    for n in (100, 120, 201, 250, 300, 400):
+        w = [f"own{n}x{k}" for k in range(n)]
+        for other in (w, [f"other{n}x{k}" for k in range(n)], [x if k not in gone else f"new{n}x{k}" for gone in [set(rng.sample(range(n), n // 5))] for k, x in enumerate(w)], w + [f"more{n}x{k}" for k in range(n // 4)]):
+            texts.append(" ".join(other))
+    lines = line_dedup._lines(make(spark, texts), 5, line_dedup._levels(make(spark, ["a"])), 0.2)
+    a, b = (lines.select(*(F.col(x).alias(p + x) for x in ("doc", "size", *line_dedup.SKETCH))) for p in ("", "b_"))
+    got = {(r.doc, r.b_doc) for r in a.join(b, F.expr("doc < b_doc and doc div 4 = b_doc div 4")).where(line_dedup._alike("", "b_", 0.2)).collect()}
+    assert got >= {(k, k + e) for k in range(0, len(texts), 4) for e in (2, 3)} and not {(k, k + 1) for k in range(0, len(texts), 4)} & got
+
+
+def test_staged_tables_leave_the_settings(spark, tmp_path):
+    """A write's settings hold for it alone, and its shuffle files go with it."""
+    from granary.llm import _store
+
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key), spark.conf.get(_store.CLEANUP)
+    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    known = tracker.shuffleStatuses().size()
+    assert _store.stage(spark.range(100).repartition(3, "id"), "t", spark_sql_requireAllClusterKeysForCoPartition="false").count() == 100
+    assert tracker.shuffleStatuses().size() <= known + 1  # the count's own
+    assert (spark.conf.get(key), spark.conf.get(_store.CLEANUP)) == before
