@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +99,23 @@ def test_jaccard_groups_of_a_chain(spark):
     assert got == set(components(60, links))
 
 
+def test_tokens_of_many_shingles_differ():
+    """400,000 different shingles have as many tokens: what meets by chance grows with the square of the corpus."""
+    texts = [" ".join(f"w{k}" for k in range(i, i + 100_000)) for i in range(0, 1_600_000, 100_000)]
+    run = jaccard_join._features((np.array([], np.uint64), np.array([], np.int64)), 80, 5, 3)
+    rows = pd.concat(run(iter([pd.DataFrame({"doc_id": range(16), "text": texts})])))
+    tokens = np.concatenate([np.asarray(x) for x in rows["prefix"]])
+    assert len(tokens) == 16 * (99_996 - 79_997 + 5_000) and len(np.unique(tokens)) == len(tokens)
+
+
+def test_frequent_shingles_are_of_a_share_of_the_corpus(spark):
+    rng = random.Random(11)
+    shared = " ".join(words(rng, 30))
+    docs = make(spark, [shared + " " + " ".join(words(rng, 10)) for _ in range(640)]).select("doc_id", "text")
+    known, level = jaccard_join._frequent(docs, 5, 4)
+    assert len(known) == len(level) >= 26 and (np.diff(known) > 0).all()
+
+
 def test_repeats_are_removed(docs, corpus):
     data = [(t or "").encode() for t in corpus]
     n, places = 60, {}
