@@ -116,6 +116,25 @@ def test_frequent_shingles_are_of_a_share_of_the_corpus(spark):
     assert len(known) == len(level) >= 26 and (np.diff(known) > 0).all()
 
 
+def test_sets_go_once_to_each_place(docs, corpus, monkeypatch):
+    """Sets are not staged, tokens are shuffled once, and a set of which nobody in its group has a token is not opened there."""
+    plans, staged, plain = {}, {}, jaccard_join.stage
+
+    def stage(df, tag, **settings):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        staged[tag] = plain(df, tag, **settings)
+        return staged[tag]
+
+    monkeypatch.setattr(jaccard_join, "stage", stage)
+    jaccard_join.jaccard_groups(docs).collect()
+    assert "sets" not in staged
+    assert plans["matrix"].count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plans["matrix"]
+    places = staged["wanted"].select("cls", F.explode("places").alias("at")).select("cls", "at.grp", "at.task")
+    assert places.count() == places.distinct().count() > 0
+    alone = staged["groups"].groupBy("grp").count().where("count = 1").join(staged["groups"], "grp").join(staged["opened"], ["cls", "grp"])
+    assert alone.count() == 0
+
+
 def test_repeats_are_removed(docs, corpus):
     data = [(t or "").encode() for t in corpus]
     n, places = 60, {}
