@@ -761,6 +761,56 @@ def test_sketches_of_long_lines_tell_them_apart(spark):
     assert got >= {(k, k + e) for k in range(0, len(texts), 4) for e in (2, 3)} and not {(k, k + 1) for k in range(0, len(texts), 4)} & got
 
 
+def test_sketches_tell_lines_of_repeated_words_apart(spark):
+    """Words that occur an even number of times don't cancel: unlike lines don't pass as alike, lines with a fifth of the words changed do."""
+    texts = []
+    for n, times in ((160, 16), (240, 8), (90, 2)):
+        w, other = ([f"{name}{n}x{k // times}" for k in range(n)] for name in ("own", "other"))
+        texts += [" ".join(x) for x in (w, other, w[: n - n // 5] + [f"new{n}x{k}" for k in range(n // 5)])]
+    lines = line_dedup._lines(make(spark, texts), 5, line_dedup._levels(make(spark, ["a"])), 0.2)
+    a, b = (lines.select(*(F.col(x).alias(p + x) for x in ("doc", "size", *line_dedup.SKETCH))) for p in ("", "b_"))
+    got = {(r.doc, r.b_doc) for r in a.join(b, F.expr("doc < b_doc and doc div 3 = b_doc div 3")).where(line_dedup._alike("", "b_", 0.2)).collect()}
+    assert got == {(k, k + 2) for k in range(0, len(texts), 3)}
+    assert [len(r.pairs) for r in line_dedup._lines(make(spark, [" ".join(f"w{k}" for k in range(100))]), 5, line_dedup._levels(make(spark, ["a"])), 0.2).collect()] == [41]
+
+
+def planted_lines():
+    rng = random.Random(23)
+    lines = []
+    for n in (6, 12, 24, 27, 60, 120):
+        for _ in range(6):
+            w = words(rng, n)
+            other = list(w)
+            for at in rng.sample(range(n), n // 5):
+                other[at] = f"new{at}"
+            lines += [w, other]
+    rng.shuffle(lines)
+    return lines
+
+
+def test_lines_in_rounds_and_parts(spark, monkeypatch):
+    """Keys dealt out in rounds, and broadcasts in parts, give the same."""
+    from granary.llm import _store
+
+    lines = planted_lines()
+    lines += lines[:5]
+    docs = make(spark, [" ".join(w) for w in lines])
+    want = {r.doc_id: r.keep_doc_id for r in line_dedup.repeated_lines(docs).collect()}
+    links = [(i, j) for i in range(len(lines)) for j in range(i) if word_edits(lines[i], lines[j]) <= max(len(lines[i]), len(lines[j])) // 5]
+    root = components(len(lines), links)
+    assert want == {i: root[i] for i in range(len(lines)) if root[i] != i} and len(want) > 36
+    tags, plain = [], line_dedup.stage
+    monkeypatch.setattr(line_dedup, "stage", lambda df, tag, **settings: tags.append(tag) or plain(df, tag, **settings))
+    monkeypatch.setattr(line_dedup, "ROUND", 10)
+    monkeypatch.setattr(_store, "SMALL", 4)
+    assert {r.doc_id: r.keep_doc_id for r in line_dedup.repeated_lines(docs).collect()} == want
+    assert tags.count("rest-in-turn") == tags.count("met-in-turn") > 3
+    wide = _store.stage(spark.range(50).selectExpr("id % 7 as k", "id"), "wide")
+    narrow = _store.stage(spark.range(6).selectExpr("id as k", "id * 10 as v"), "narrow")
+    for how in ("inner", "left"):
+        assert sorted(_store.look_up(wide, narrow, ["k"], how, "part").collect(), key=str) == sorted(wide.join(narrow, ["k"], how).collect(), key=str)
+
+
 def test_staged_tables_leave_the_settings(spark, tmp_path):
     """A write's settings hold for it alone, and its shuffle files go with it."""
     from granary.llm import _store
