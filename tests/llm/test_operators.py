@@ -811,6 +811,21 @@ def test_lines_in_rounds_and_parts(spark, monkeypatch):
         assert sorted(_store.look_up(wide, narrow, ["k"], how, "part").collect(), key=str) == sorted(wide.join(narrow, ["k"], how).collect(), key=str)
 
 
+@pytest.mark.parametrize("percent", [80, 60])
+def test_lines_are_found_in_any_order_of_words(spark, monkeypatch, percent):
+    """What is found doesn't depend on the levels of words, whatever part of the texts they are counted on."""
+    docs = make(spark, [" ".join(w) for w in planted_lines()])
+    rows = []
+    for fill in (lambda k: 0, lambda k: (k * 0x9E3779B97F4A7C15 + 1) % (1 << 64) - (1 << 63), None):
+        if fill:
+            table = "[" + ",".join(str(fill(k)) for k in range(1 << (line_dedup.CELL_BITS - 4))) + "]"
+            monkeypatch.setattr(line_dedup, "_levels", lambda docs, table=table: table)
+        else:
+            monkeypatch.undo()
+        rows.append({(r.doc_id, r.line, r.keep_doc_id) for r in line_dedup.repeated_lines(docs, percent).collect()})
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) >= 36
+
+
 def test_staged_tables_leave_the_settings(spark, tmp_path):
     """A write's settings hold for it alone, and its shuffle files go with it."""
     from granary.llm import _store
